@@ -1 +1 @@
-"""Quern: typed, versioned record collections on Spark."""
+"""Scalar functions as native column expressions."""

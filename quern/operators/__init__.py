@@ -1 +1 @@
-"""Quern: typed, versioned record collections on Spark."""
+"""Operators: DataFrame in, DataFrame out, nothing collected."""

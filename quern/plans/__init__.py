@@ -1 +1 @@
-"""Quern: typed, versioned record collections on Spark."""
+"""Decisions made on the driver before a plan is built."""

@@ -1 +1 @@
-"""Quern: typed, versioned record collections on Spark."""
+"""Where records live: the commit log, blobs and the JSON codec."""

@@ -1 +1 @@
-"""Quern: typed, versioned record collections on Spark."""
+"""Change feeds as streams and the views they maintain."""
