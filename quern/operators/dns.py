@@ -40,53 +40,48 @@ def list_zone(records: DataFrame) -> DataFrame:
 
 
 def closest_encloser(asked: DataFrame, tree: DataFrame, zone: str) -> DataFrame:
-    """asked (qid, name) with the longest existing name strictly above name, or null when name itself exists."""
-    up = asked.select("qid", "name", F.posexplode(ancestors(F.col("name"), F.lit(zone))).alias("depth", "node"))
-    best = up.join(tree, "node").groupBy("qid").agg(F.min_by("node", "depth").alias("encloser"))
-    found = asked.join(best, "qid", "left")
-    return found.withColumn("encloser", F.when(F.col("encloser") != F.col("name"), F.col("encloser")))
+    """asked (qid, name, ...) with the longest existing name above name; null when name itself exists or none does."""
+    rest = [c for c in asked.columns if c != "qid"]
+    up = asked.select("qid", F.struct(*rest).alias("row"), F.posexplode_outer(ancestors(F.col("name"), F.lit(zone))).alias("depth", "node"))
+    hit = up.join(tree.withColumn("hit", F.lit(True)), "node", "left")
+    best = hit.groupBy("qid").agg(F.first("row").alias("row"), F.min_by(F.col("node"), F.when(F.col("hit"), F.col("depth"))).alias("encloser"))
+    return best.select("qid", "row.*", F.when(F.col("encloser") != F.col("row.name"), F.col("encloser")).alias("encloser"))
 
 
 def resolve(asked: DataFrame, records: DataFrame, zone: str, *, max_chain: int = MAX_CHAIN, rfc_nodata: bool = False) -> DataFrame:
-    """qid, status, answers, chain: asked has qid, name, type.
+    """qid, status, answers, chain: asked has qid (unique), name, type.
 
     Per hop: outside the zone a referral; an exact record set; an alias (followed, unless an
     alias was asked for); an existing name NODATA; a wildcard at the closest encloser (its
     record set, or NODATA when it has other types only); else NXDOMAIN. An empty
     non-terminal is NXDOMAIN, or NODATA with rfc_nodata. A chain longer than max_chain is
-    truncated.
+    truncated. Aliases are walked first, one join a hop; what the walk ends at is answered
+    once.
     """
     recs = normalized(records).select("name", "type", "lookup_key", "rdata")
-    sets, known, tree = rrsets(recs), names(recs), nodes(recs, zone)
-    cname = recs.where("type = 'CNAME'").groupBy("name").agg(F.min(dns_name(F.col("rdata"))).alias("target"))
-    open_ = asked.select("qid", dns_name(F.col("name")).alias("name"), F.upper("type").alias("type"), F.array().cast("array<string>").alias("chain"))
-    done = None
-    key = lambda name, kind: F.concat_ws("|", name, kind)
-    for hop in range(max_chain + 1):
-        r = open_.withColumn("lookup_key", key(F.col("name"), F.col("type"))).join(sets, "lookup_key", "left")
-        r = r.join(cname, "name", "left")
-        r = r.join(known.withColumn("exists", F.lit(True)), "name", "left")
-        enclosed = closest_encloser(r.select("qid", "name"), tree, zone).select("qid", "encloser")
-        r = r.join(enclosed, "qid", "left").withColumn("wild", F.concat(F.lit("*."), "encloser"))
-        r = r.withColumn("wild_key", key(F.col("wild"), F.col("type")))
-        r = r.join(sets.select(F.col("lookup_key").alias("wild_key"), F.col("rdata").alias("wild_rdata")), "wild_key", "left")
-        r = r.join(known.select(F.col("name").alias("wild"), F.lit(True).alias("wild_exists")), "wild", "left")
-        follows = F.col("target").isNotNull() & (F.col("type") != "CNAME")
-        inner = F.col("encloser").isNull() & F.lit(rfc_nodata)
-        status = (
-            F.when(~in_zone(F.col("name"), F.lit(zone)), "REFERRAL")
-            .when(F.col("rdata").isNotNull(), "NOERROR")
-            .when(follows, "FOLLOW" if hop < max_chain else "TRUNCATED")
-            .when(F.col("exists"), "NODATA")
-            .when(F.col("wild_rdata").isNotNull(), "NOERROR")
-            .when(F.col("wild_exists"), "NODATA")
-            .when(inner, "NODATA")
-            .otherwise("NXDOMAIN")
-        )
-        r = r.withColumn("status", status)
-        chain = F.when(follows & F.col("rdata").isNull() & in_zone(F.col("name"), F.lit(zone)), F.concat("chain", F.array("target"))).otherwise(F.col("chain"))
-        answers = F.when(F.col("status") == "NOERROR", F.coalesce("rdata", "wild_rdata"))
-        closed = r.where("status <> 'FOLLOW'").select("qid", "status", answers.alias("answers"), F.when(F.col("status") == "TRUNCATED", chain).otherwise(F.col("chain")).alias("chain"))
-        done = closed if done is None else done.unionByName(closed)
-        open_ = r.where("status = 'FOLLOW'").select("qid", F.col("target").alias("name"), "type", chain.alias("chain"))
-    return done
+    sets, tree = rrsets(recs), nodes(recs, zone)
+    info = recs.groupBy("name").agg(F.collect_set("type").alias("types"), F.min(F.when(F.col("type") == "CNAME", dns_name(F.col("rdata")))).alias("target"))
+    cur = asked.select("qid", dns_name(F.col("name")).alias("name"), F.upper("type").alias("type"), F.array().cast("array<string>").alias("chain"))
+    follows = in_zone(F.col("name"), F.lit(zone)) & F.col("target").isNotNull() & (F.col("type") != "CNAME") & ~F.array_contains("types", F.col("type"))
+    for _ in range(max_chain):
+        cur = cur.join(info, "name", "left").withColumn("follows", F.coalesce(follows, F.lit(False)))
+        cur = cur.select("qid", F.when(F.col("follows"), F.col("target")).otherwise(F.col("name")).alias("name"), "type", F.when(F.col("follows"), F.concat("chain", F.array("target"))).otherwise(F.col("chain")).alias("chain"))
+    r = closest_encloser(cur, tree, zone).join(info, "name", "left").withColumn("follows", F.coalesce(follows, F.lit(False)))
+    r = r.withColumn("lookup_key", F.concat_ws("|", "name", "type")).join(sets, "lookup_key", "left")
+    r = r.withColumn("wild", F.concat(F.lit("*."), "encloser")).withColumn("wild_key", F.concat(F.col("wild"), F.lit("|"), F.col("type")))
+    r = r.join(sets.select(F.col("lookup_key").alias("wild_key"), F.col("rdata").alias("wild_rdata")), "wild_key", "left")
+    r = r.join(info.select(F.col("name").alias("wild"), F.lit(True).alias("wild_exists")), "wild", "left")
+    status = (
+        F.when(~in_zone(F.col("name"), F.lit(zone)), "REFERRAL")
+        .when(F.col("rdata").isNotNull(), "NOERROR")
+        .when(F.col("follows"), "TRUNCATED")
+        .when(F.col("types").isNotNull(), "NODATA")
+        .when(F.col("wild_rdata").isNotNull(), "NOERROR")
+        .when(F.col("wild_exists"), "NODATA")
+        .when(F.col("encloser").isNull() & F.lit(rfc_nodata), "NODATA")
+        .otherwise("NXDOMAIN")
+    )
+    r = r.withColumn("status", status)
+    answers = F.when(F.col("status") == "NOERROR", F.coalesce("rdata", "wild_rdata"))
+    chain = F.when(F.col("status") == "TRUNCATED", F.concat("chain", F.array("target"))).otherwise(F.col("chain"))
+    return r.select("qid", "status", answers.alias("answers"), chain.alias("chain"))
