@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, near_dedup, packing, secrets, warc
+from . import ann, bpe, exact_dedup, langid, licenses, near_dedup, packing, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -55,11 +63,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_language_id, op5_warc, op6_secret_scan, op7_near_dedup, op8_bpe, op10_ann, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_exact_dedup, op4_language_id, op5_warc, op6_secret_scan, op7_near_dedup, op8_bpe, op9_substring_dedup, op10_ann, pipeline)}
+
+
+def _license_sql() -> str:
+    rows = []
+    for name, text in licenses.TEMPLATES:
+        grams = licenses.bigrams(licenses._words(text))
+        rows.append(f"('{name}', [{', '.join(repr(g) for g in grams)}], {len(grams)})")
+    between = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
+    return f"""
+        with t(id, grams, m) as (values {', '.join(rows)}),
+        u as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+        lines as (select k, unnest(string_split(text, chr(10)) || case when contains(text, chr(10)) then [text] else [] end) as l from u),
+        folded as (select k, regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{between}', ' ', 'g') as l from lines),
+        w as (select row_number() over () as line, k, string_split(trim(l), ' ') as w from folded),
+        g as (select line, k, len(w) - 1 as n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as grams from w where len(w) between 2 and 80),
+        s as (select line, k, id, 2.0::double * len(list_intersect(g.grams, t.grams)) / (n + m) as score from g join t on true),
+        best as (select k, line, max(score) as score, arg_min(id, (-score, id)) as id from s group by k, line having max(score) >= {licenses.THRESHOLD}),
+        d as (select k, count(*) as n_hits, array_to_string(list_sort(list_distinct(list(id))), ',') as licenses, max(score) as best from best group by k)
+        select doc_id, coalesce(n_hits, 0) as n_hits, coalesce(licenses, '') as licenses, best from u left join d using (k)
+    """
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": _license_sql(),
         "op3_exact_dedup": """
             with d as (
               select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
