@@ -40,9 +40,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Combine neighbouring rows of one node and digest; rows come sorted, the identifier to keep last."""
     held: pa.RecordBatch | None = None
+    names = [c.split()[0] for c in _RUN.split(", ")]
     for b in batches:
         if not b.num_rows:
             continue
+        b = pa.RecordBatch.from_arrays(b.columns, names=names)  # whether a column may be null differs by plan
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
         n = b.num_rows

@@ -27,7 +27,7 @@ def fold(t):
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 @pytest.mark.parametrize("parts", [1, 11])
 def test_exact_dedup(spark, keep, parts):
-    rows = DOCS + [(100 + i, "hot") for i in range(60)]
+    rows = DOCS + [(100 + i, "hot") for i in range(60)] + [(1000 + i, f"t{i % 1700}") for i in range(3000)]
     got = exact_dedup.exact_duplicates(frame(spark, rows, parts=parts), keep=keep).collect()
     assert len(got) == len(rows)
     groups = defaultdict(list)
