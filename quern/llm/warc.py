@@ -34,7 +34,6 @@ NAMESPACE = uuid.UUID(int=0)
 #: Records that a task decompresses at a time.
 READ_BYTES = 1 << 20
 
-_ROW = "uid long, page_id long, url string, html binary, digest string, n_bytes long, refers_to long, refers_uid long"
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -118,6 +117,7 @@ def _writer(root: str, roll: int, date: str) -> Callable[[Iterator[pa.RecordBatc
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         done: list[tuple] = []
         out, size, records, sha, temp = None, 0, 0, hashlib.sha1(), ""
+        mark: dict | None = None
 
         def close() -> None:
             nonlocal out
@@ -132,6 +132,11 @@ def _writer(root: str, roll: int, date: str) -> Callable[[Iterator[pa.RecordBatc
 
         for b in batches:
             for row in b.to_pylist():
+                if row["html"] is None:  # a mark: the next row, its page, is a revisit
+                    mark = row
+                    continue
+                own = mark if mark is not None and mark["uid"] == row["uid"] else {"refers_to": None, "refers_uid": None}
+                row |= {"digest": base32_sha1(row["html"]), "refers_to": own["refers_to"], "refers_uid": own["refers_uid"]}
                 if out is None:
                     temp, size, records, sha = f"{path}/.temp-{shard:06d}-{len(done):05d}-{attempt}", 0, 0, hashlib.sha1()
                     out = fs.open_output_stream(temp, compression=None)
@@ -180,6 +185,7 @@ def _reader(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 def _with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
+    """All pages, and a mark (html null) for each that is a revisit: the range sort brings both together, so payloads are shuffled once."""
     small_batches(pages.sparkSession)
     rows = stable(pages).select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
     base = written(rows.select("uid", "page_id", "html").mapInArrow(_digests, "uid long, page_id long, digest string, n_bytes long"), "warc-digests")
@@ -187,9 +193,10 @@ def _with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     keyed = base.withColumn("key", key)
     best = keyed.where("key is not null").groupBy("key").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "uid")).alias("best"), F.count("*").alias("group_size"))
     groups = written(best.where("group_size > 1"), "warc-groups")  # a payload of its own needs no partner
-    found = attach(keyed, groups, "key", "group_size", base.count()).where("uid <> best.uid").select("uid", F.col("best.page_id").alias("refers_to"), F.col("best.uid").alias("refers_uid"))
-    marks = base.select("uid", "digest", "n_bytes").join(found, "uid", "left")
-    return rows.join(marks, "uid").select(*(c.split()[0] for c in _ROW.split(", ")))
+    found = attach(keyed, groups, "key", "group_size", base.count()).where("uid <> best.uid")
+    marks = found.select("uid", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), F.col("best.page_id").alias("refers_to"), F.col("best.uid").alias("refers_uid"))
+    none = F.lit(None).cast("long")
+    return marks.unionByName(rows.select("uid", "page_id", "url", "html", none.alias("refers_to"), none.alias("refers_uid")))
 
 
 def write_archives(pages: DataFrame, root: str, *, min_bytes: int = 0, roll: int = ROLL, date: str = DATE) -> dict:
@@ -204,7 +211,7 @@ def write_archives(pages: DataFrame, root: str, *, min_bytes: int = 0, roll: int
     fs.create_dir(path)
     rows = _with_revisits(pages, min_bytes)
     # rows without an id would all be of one range
-    ordered = rows.repartitionByRange(F.coalesce("page_id", F.lit(-1)), "uid").sortWithinPartitions("page_id", "uid")
+    ordered = rows.repartitionByRange(F.coalesce("page_id", F.lit(-1)), "uid").sortWithinPartitions("page_id", "uid", F.col("html").isNotNull())
     files = ordered.mapInArrow(_writer(root, roll, date), "name string, n_bytes long, n_records long, sha1 string").collect()  # a row per file
     manifest = {"version": 1, "files": sorted((f.asDict() for f in files), key=lambda f: f["name"])}
     with fs.open_output_stream(f"{path}/.temp-manifest", compression=None) as f:
