@@ -13,7 +13,10 @@
    Large groups of copies thus give a few pairs per document, not all pairs.
 4. Candidates are verified on their whole shingle sets: a link has a weighted Jaccard
    similarity of at least the threshold, or a plain one.
-5. Components of links are the classes.
+5. What the pivots and leaders left out: in a bucket that still holds several components
+   of links, members of different components are compared, block by block, and those
+   that agree in REST_AGREE samples are verified too.
+6. Components of all links are the classes.
 """
 
 from __future__ import annotations
@@ -33,8 +36,12 @@ from .components import components
 THRESHOLD = 0.8
 ROWS, BANDS = 3, 12
 SAMPLES = ROWS * BANDS
-#: Samples in which a candidate pair agrees; with a similarity of 0.8 fewer have a probability below 1e-9.
+#: Samples in which a candidate pair agrees; with a similarity of 0.8 fewer have a probability of about 1e-8.
 MIN_AGREE = 14
+#: The same for pairs that no pivot or leader stands for; with a similarity of 0.8 fewer have a probability of about 2e-4.
+REST_AGREE = 20
+#: Members of a bucket that are compared with as many others in one block, about.
+BLOCK = 2048
 #: A document that agrees in so many samples with a leader is not one itself.
 NEAR = 30
 #: Leaders other than the pivot to which a document is paired, the most alike.
@@ -199,9 +206,8 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes that may be near-duplicates."""
-    nodes = written(signed.where("keys is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks")), "signatures")
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of nodes (node, keys, marks; a written table) that may be near-duplicates."""
     rows = nodes.select("node", "marks", F.explode("keys").alias("key"))
     found = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     pivots = nodes.select(F.col("node").alias("pivot"), F.col("marks").alias("pivot_marks"))
@@ -214,6 +220,77 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block's two sides that agree and differ in root; a block's rows come together."""
+
+    def pairs(rows: list[pa.RecordBatch]) -> tuple[list[bytes], list[bytes]]:
+        t = pa.Table.from_batches(rows)
+        node = t.column("node").to_pylist()
+        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        root = np.unique(np.frombuffer(b"".join(t.column("root").to_pylist()), _U).reshape(-1, 2), axis=0, return_inverse=True)[1].reshape(-1)
+        first = t.column("first").to_numpy()
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        out_a, out_b = [], []
+        for n, i in enumerate(left.tolist()):
+            others = right if len(right) else left[n + 1 :]  # a block of one side only is compared with itself
+            others = others[root[others] != root[i]]
+            for j in others[_agree(marks[others], marks[i]) >= REST_AGREE].tolist():
+                out_a.append(node[i])
+                out_b.append(node[j])
+        return out_a, out_b
+
+    at, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell = np.stack([b.column(c).to_numpy() for c in ("key", "x", "y")])
+        cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            now = tuple(cell[:, lo].tolist())
+            if now != at and held:
+                a, o = pairs(held)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(o, pa.binary())], names=["a", "b"])
+                held = []
+            at = now
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        a, o = pairs(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(o, pa.binary())], names=["a", "b"])
+
+
+def rest_pairs(nodes: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of nodes that share a bucket, differ in root and may be near-duplicates, without those in done.
+
+    In a bucket the members of its largest component are not compared with each other;
+    the others are, and with those. Both are cut into blocks by hash, so that a bucket of
+    any size is shared among tasks.
+    """
+    rooted = nodes.join(roots, "node", "left").select("node", "marks", "keys", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    rows = rooted.select("node", "marks", "root", F.explode("keys").alias("key"))
+    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = written(mixed.select("key", "members", F.col("largest.root").alias("main"), F.col("largest.n").alias("n_main")), "mixed-buckets")
+    met = attach(rows, mixed, "key", "members", rooted.count() * BANDS)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    n_rest, n_main = blocks(F.col("members") - F.col("n_main")), blocks(F.col("n_main"))
+    is_main, h = F.col("root") == F.col("main"), F.xxhash64("node")
+    met = met.select("key", "node", "marks", "root", n_rest.alias("n_rest"), n_main.alias("n_main"), is_main.alias("is_main"), F.pmod(h, F.when(is_main, n_main).otherwise(n_rest)).cast("int").alias("mine"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    cell = lambda x, y, first: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), first.alias("first"))
+    mine = F.col("mine")
+    # y below n_main is a block of the largest component, from n_main on one of the rest
+    of_main = each(F.col("n_rest"), lambda i: cell(i, mine, F.lit(False)))
+    with_main = each(F.col("n_main"), lambda i: cell(mine, i, F.lit(True)))
+    with_rest = each(F.col("n_rest"), lambda i: cell(F.least(i, mine), F.col("n_main") + F.greatest(i, mine), mine <= i))
+    met = met.select("key", "node", "marks", "root", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_rest))).alias("cell"))
+    dealt = met.select("key", "node", "marks", "root", "cell.*").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    pairs = dealt.mapInArrow(_compare, "a binary, b binary")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
 def _filter_words(nodes: DataFrame) -> np.ndarray:
     """A Bloom filter of one hash: 1 << FILTER_BITS bits, whatever the input."""
     slot = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << FILTER_BITS) - 1)
@@ -295,8 +372,14 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     texts = docs.withColumn("text", F.col("text").cast("binary"))
     shipped = docs.sparkSession.sparkContext.broadcast(idf)
     signed = written(texts.mapInArrow(_signer(shipped), "uid long, doc_id long, node binary, keys array<long>, marks binary"), "signed")
-    pairs = written(candidate_pairs(signed), "pairs")
-    roots = components(verified_links(texts, pairs, idf, threshold))
+    sets = signed.where("keys is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+    sets = written(sets, "signatures")
+    pairs = written(candidate_pairs(sets), "pairs")
+    links = written(verified_links(texts, pairs, idf, threshold).select("a", "b"), "links")
+    roots = components(links)
+    rest = written(rest_pairs(sets, roots, pairs), "pairs")
+    if not rest.isEmpty():
+        roots = components(links.unionByName(verified_links(texts, rest, idf, threshold).select("a", "b")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("best")
     nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), best)
     nodes = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")

@@ -65,6 +65,35 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rest_of_buckets(spark, monkeypatch):
+    """Blocks of any size give exactly the pairs of one bucket that agree and differ in root."""
+    rng = np.random.default_rng(5)
+    protos = rng.integers(0, 256, (3, near_dedup.SAMPLES), dtype=np.uint8)
+    rows, roots = [], []
+    for i in range(150):
+        m = protos[i % 3].copy()
+        m[rng.random(near_dedup.SAMPLES) < 0.3] = 0
+        node = i.to_bytes(16, "big")
+        rows.append((bytearray(node), [i % 2, 7], bytearray(m.tobytes())))
+        if i % 5:
+            roots.append((bytearray(node), bytearray((1000 + i % 5 // 4).to_bytes(16, "big"))))
+    nodes = near_dedup.written(spark.createDataFrame(rows, "node binary, keys array<long>, marks binary").repartition(3), "signatures")
+    roots_df = spark.createDataFrame(roots, "node binary, root binary")
+    of, want = {bytes(n): bytes(r) for n, r in roots}, set()
+    for i, (x, _, mx) in enumerate(rows):
+        for y, _, my in rows[:i]:
+            a, b = sorted((bytes(x), bytes(y)))
+            if of.get(a, a) != of.get(b, b) and sum(p == q for p, q in zip(mx, my)) >= near_dedup.REST_AGREE:
+                want.add((a, b))
+    done = sorted(want)[:3]
+    done_df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in done], "a binary, b binary")
+    assert len(want) > 100
+    for block in (7, 2048):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = [(bytes(r.a), bytes(r.b)) for r in near_dedup.rest_pairs(nodes, roots_df, done_df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want - set(done)
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(2)
     icws = near_dedup.Icws(samples=3000)
