@@ -14,8 +14,8 @@
 4. Candidates are verified on their whole shingle sets: a link has a weighted Jaccard
    similarity of at least the threshold, or a plain one.
 5. What the pivots and leaders left out: in a bucket that still holds several components
-   of links, members of different components are compared, block by block, and those
-   that agree in REST_AGREE samples are verified too.
+   of links, members of different components are compared, block by block; each with
+   the most alike of another component, if they agree in REST_AGREE samples, is verified too.
 6. Components of all links are the classes.
 """
 
@@ -221,7 +221,11 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's two sides that agree and differ in root; a block's rows come together."""
+    """Each row of a block with the row of the other side that differs in root and agrees most.
+
+    A block's rows come together. A block gives a pair per row at most, so a large group
+    of near copies in several components does not give all its pairs.
+    """
 
     def pairs(rows: list[pa.RecordBatch]) -> tuple[list[bytes], list[bytes]]:
         t = pa.Table.from_batches(rows)
@@ -230,13 +234,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = np.unique(np.frombuffer(b"".join(t.column("root").to_pylist()), _U).reshape(-1, 2), axis=0, return_inverse=True)[1].reshape(-1)
         first = t.column("first").to_numpy()
         left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        out_a, out_b = [], []
+        best, partner = np.full(len(node), REST_AGREE - 1), np.full(len(node), -1)
         for n, i in enumerate(left.tolist()):
             others = right if len(right) else left[n + 1 :]  # a block of one side only is compared with itself
             others = others[root[others] != root[i]]
-            for j in others[_agree(marks[others], marks[i]) >= REST_AGREE].tolist():
-                out_a.append(node[i])
-                out_b.append(node[j])
+            if not len(others):
+                continue
+            got = _agree(marks[others], marks[i])
+            better = got > best[others]
+            best[others[better]], partner[others[better]] = got[better], i
+            if got.max() > best[i]:
+                best[i], partner[i] = got.max(), others[got.argmax()]
+        at = np.flatnonzero(partner >= 0).tolist()
+        out_a, out_b = [node[i] for i in at], [node[i] for i in partner[at].tolist()]
         return out_a, out_b
 
     at, held = None, []
@@ -262,7 +272,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rest_pairs(nodes: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
     """Distinct pairs a < b of nodes that share a bucket, differ in root and may be near-duplicates, without those in done.
 
-    In a bucket the members of its largest component are not compared with each other;
+    A node is paired with the most alike node of each block that it is in. In a bucket the members of its largest component are not compared with each other;
     the others are, and with those. Both are cut into blocks by hash, so that a bucket of
     any size is shared among tasks.
     """
