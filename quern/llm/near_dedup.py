@@ -14,8 +14,10 @@
 4. Candidates are verified on their whole shingle sets: a link has a weighted Jaccard
    similarity of at least the threshold, or a plain one.
 5. What the pivots and leaders left out: in a bucket that still holds several components
-   of links, members of different components are compared, block by block; each with
-   the most alike of another component, if they agree in REST_AGREE samples, is verified too.
+   of links, members of different components that agree in REST_AGREE samples are
+   verified too. They are found block by block, in rounds: each with the most alike of
+   other components first, then, when their links have merged components, with more of
+   those that still differ, and at last with all. No such pair is left unverified.
 6. Components of all links are the classes.
 """
 
@@ -42,6 +44,10 @@ MIN_AGREE = 14
 REST_AGREE = 20
 #: Members of a bucket that are compared with as many others in one block, about.
 BLOCK = 2048
+#: Partners of a member in a block, round by round; the last round takes all that still differ in root.
+PARTNERS = (4, 64, None)
+#: Pairs in an Arrow batch that a block gives.
+PAIR_ROWS = 1 << 16
 #: A document that agrees in so many samples with a leader is not one itself.
 NEAR = 30
 #: Leaders other than the pivot to which a document is paired, the most alike.
@@ -220,61 +226,70 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row of a block with the row of the other side that differs in root and agrees most.
+def _block_pairs(rows: list[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block's two sides that differ in root and agree, for each row the `most` most alike (None: all).
 
-    A block's rows come together. A block gives a pair per row at most, so a large group
-    of near copies in several components does not give all its pairs.
+    A pair of nulls says that agreeing pairs were left out.
     """
+    t = pa.Table.from_batches(rows)
+    node = np.array(t.column("node").to_pylist(), object)
+    marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+    root = np.unique(np.frombuffer(b"".join(t.column("root").to_pylist()), _U).reshape(-1, 2), axis=0, return_inverse=True)[1].reshape(-1)
+    first = t.column("first").to_numpy(zero_copy_only=False)
+    left, right = np.flatnonzero(first), np.flatnonzero(~first)
+    alone = not len(right)  # a block of one side only is compared with itself
+    right = left if alone else right
+    got = np.zeros((len(left), len(right)), np.int8)
+    for n, i in enumerate(left.tolist()):
+        got[n] = np.where(root[right] != root[i], _agree(marks[right], marks[i]), 0)
+    take = found = got >= REST_AGREE
+    if most is not None:
+        take = np.zeros_like(found)
+        for side, into in ((got, take), (got.T, take.T)):
+            n = min(most, side.shape[1])
+            if n:
+                np.put_along_axis(into, np.argpartition(side, side.shape[1] - n, axis=1)[:, -n:], True, axis=1)
+        take &= found
+    if alone:
+        take = np.triu(take | take.T)
+        found = np.triu(found)
+    x, y = np.nonzero(take)
+    for lo in range(0, len(x), PAIR_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(node[at[i[lo : lo + PAIR_ROWS]]].tolist(), pa.binary()) for at, i in ((left, x), (right, y))], names=["a", "b"])
+    if len(x) < np.count_nonzero(found):
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary())] * 2, names=["a", "b"])
+
+
+def _compare(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs of each block; a block's rows come together."""
 
-    def pairs(rows: list[pa.RecordBatch]) -> tuple[list[bytes], list[bytes]]:
-        t = pa.Table.from_batches(rows)
-        node = t.column("node").to_pylist()
-        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, SAMPLES)
-        root = np.unique(np.frombuffer(b"".join(t.column("root").to_pylist()), _U).reshape(-1, 2), axis=0, return_inverse=True)[1].reshape(-1)
-        first = t.column("first").to_numpy()
-        left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        best, partner = np.full(len(node), REST_AGREE - 1), np.full(len(node), -1)
-        for n, i in enumerate(left.tolist()):
-            others = right if len(right) else left[n + 1 :]  # a block of one side only is compared with itself
-            others = others[root[others] != root[i]]
-            if not len(others):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            if not b.num_rows:
                 continue
-            got = _agree(marks[others], marks[i])
-            better = got > best[others]
-            best[others[better]], partner[others[better]] = got[better], i
-            if got.max() > best[i]:
-                best[i], partner[i] = got.max(), others[got.argmax()]
-        at = np.flatnonzero(partner >= 0).tolist()
-        out_a, out_b = [node[i] for i in at], [node[i] for i in partner[at].tolist()]
-        return out_a, out_b
-
-    at, held = None, []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cell = np.stack([b.column(c).to_numpy() for c in ("key", "x", "y")])
-        cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            now = tuple(cell[:, lo].tolist())
-            if now != at and held:
-                a, o = pairs(held)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(o, pa.binary())], names=["a", "b"])
-                held = []
-            at = now
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        a, o = pairs(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(o, pa.binary())], names=["a", "b"])
-
-
-def rest_pairs(nodes: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+            cell = np.stack([b.column(c).to_numpy() for c in ("key", "x", "y")])
+            cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                now = tuple(cell[:, lo].tolist())
+                if now != at and held:
+                    yield from _block_pairs(held, most)
+                    held = []
+                at = now
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from _block_pairs(held, most)
+
+    return run
+
+
+def rest_pairs(nodes: DataFrame, roots: DataFrame, done: DataFrame, most: int | None = None) -> DataFrame:
     """Distinct pairs a < b of nodes that share a bucket, differ in root and may be near-duplicates, without those in done.
 
-    A node is paired with the most alike node of each block that it is in. In a bucket the members of its largest component are not compared with each other;
-    the others are, and with those. Both are cut into blocks by hash, so that a bucket of
-    any size is shared among tasks.
+    With `most`, a node is paired with so many of the most alike nodes of each block that it
+    is in, and a row of nulls says that there are more. In a bucket the members of its
+    largest component are not compared with each other; the others are, and with those.
+    Both are cut into blocks by hash, so that a bucket of any size is shared among tasks.
     """
     rooted = nodes.join(roots, "node", "left").select("node", "marks", "keys", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
@@ -296,7 +311,7 @@ def rest_pairs(nodes: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame
     with_rest = each(F.col("n_rest"), lambda i: cell(F.least(i, mine), F.col("n_main") + F.greatest(i, mine), mine <= i))
     met = met.select("key", "node", "marks", "root", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_rest))).alias("cell"))
     dealt = met.select("key", "node", "marks", "root", "cell.*").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    pairs = dealt.mapInArrow(_compare, "a binary, b binary")
+    pairs = dealt.mapInArrow(_compare(most), "a binary, b binary")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
@@ -387,9 +402,15 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     pairs = written(candidate_pairs(sets), "pairs")
     links = written(verified_links(texts, pairs, idf, threshold).select("a", "b"), "links")
     roots = components(links)
-    rest = written(rest_pairs(sets, roots, pairs), "pairs")
-    if not rest.isEmpty():
-        roots = components(links.unionByName(verified_links(texts, rest, idf, threshold).select("a", "b")))
+    for most in PARTNERS:
+        rest = written(rest_pairs(sets, roots, pairs, most), "pairs")
+        new = rest.where("a is not null")
+        if not new.isEmpty():
+            links = written(links.unionByName(verified_links(texts, new, idf, threshold).select("a", "b")), "links")
+            roots = components(links)
+            pairs = pairs.unionByName(new)
+        if rest.where("a is null").isEmpty():
+            break
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("best")
     nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), best)
     nodes = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")

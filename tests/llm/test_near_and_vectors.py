@@ -104,6 +104,22 @@ def test_rest_of_buckets(spark, monkeypatch):
         assert every == most
 
 
+def test_refused_pairs_take_no_place(spark):
+    """0-1 and 2-3 agree most and are done; 0-2 is neither's best, but no round leaves it out for good."""
+    m = np.tile(np.arange(near_dedup.SAMPLES, dtype=np.uint8), (6, 1))
+    m[2:, :12], m[1, 12:20], m[3, 20:28] = 200, 201, 202
+    m[4:] = 203  # the largest component, unlike the others
+    assert [int((m[i] == m[j]).sum()) for i, j in ((0, 1), (2, 3), (0, 2), (1, 2), (0, 3))] == [28, 28, 24, 16, 16]
+    name = lambda i: bytearray([i] * 16)
+    nodes = spark.createDataFrame([(name(i), [7], bytearray(m[i].tobytes())) for i in range(6)], "node binary, keys array<long>, marks binary")
+    roots = spark.createDataFrame([(name(4), name(4)), (name(5), name(4))], "node binary, root binary")
+    done = spark.createDataFrame([(name(0), name(1)), (name(2), name(3))], "a binary, b binary")
+    pairs = lambda most: [tuple(x and x[0] for x in (r.a, r.b)) for r in near_dedup.rest_pairs(nodes, roots, done, most).collect()]
+    assert pairs(1) == [(None, None)]  # none is new, but there are more
+    assert pairs(2) == pairs(None) == [(0, 2)]
+    assert near_dedup.PARTNERS[-1] is None
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(2)
     icws = near_dedup.Icws(samples=3000)
