@@ -76,8 +76,9 @@ def _search(k: int, share: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Ta
             pr = np.frombuffer(b"".join(posted.column("ranks").to_pylist()), np.uint8).reshape(len(x), -1)
             qr = np.frombuffer(b"".join(asked.column("ranks").to_pylist()), np.uint8).reshape(len(q), -1)
             ids, qids = posted.column("first_id").to_numpy(), asked.column("query_id").to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            x, pr, ids = x[by_id], pr[by_id], ids[by_id]
+            low = posted.column("low").to_numpy()
+            by_id = np.argsort(low, kind="stable")
+            x, pr, ids, low = x[by_id], pr[by_id], ids[by_id], low[by_id]
             # in which place of the query's probes the files of a posting stand; the first one answers for it
             post = _matrix(posted.column("near")).astype(np.int64)[by_id]
             probes = _matrix(asked.column("near")).astype(np.int64)
@@ -95,7 +96,8 @@ def _search(k: int, share: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Ta
                     limit = np.partition(foot, n - 1)[n - 1]
                     mine = mine[foot <= limit]  # ties of the last stay
                 d = np.sqrt(((x[mine] - q[i]) ** 2).sum(1))
-                best = np.lexsort((ids[mine], d))[: k + 1]
+                # of k + 1 vectors with the smallest identifiers none can be crowded out by another at the same distance
+                best = np.lexsort((low[mine], d))[: k + 1]
                 out_q += [int(qids[i])] * len(best)
                 out_v += ids[mine][best].tolist()
                 out_d += d[best].tolist()
@@ -130,7 +132,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, pivots: int =
     files, n_dim = min(files, len(table)), len(table[0])
     assert n_dim == length["n"]
     shipped = spark.sparkContext.broadcast(table)
-    posted = distinct.select(F.col("key").alias("first_id"), "v").mapInArrow(_ranker(shipped, files, min(post, files)), "first_id long, v array<double>, ranks binary, near array<int>")
+    posted = distinct.select(F.col("key").alias("first_id"), F.col("first_id").alias("low"), "v").mapInArrow(_ranker(shipped, files, min(post, files)), "first_id long, low long, v array<double>, ranks binary, near array<int>")
     posted = written(posted, "postings")
     asked = rows.where("asks").select("vec_id", "v").distinct()
     asked = asked.select(F.monotonically_increasing_id().alias("query_id"), "vec_id", "v")

@@ -151,6 +151,15 @@ def test_nearest(spark, sf):
     assert [tuple(r) for r in ann.nearest(lone, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 3, 0.0)]
 
 
+def test_ties_go_to_the_smaller_identifier(spark):
+    """16 different vectors at distance 1 of the query; the places are those of the 10 smallest identifiers."""
+    steps = [d for i in range(8) for d in (i + 1, -i - 1)]
+    at = lambda d: [2.0 + (abs(d) == i + 1) * (1 if d > 0 else -1) for i in range(8)]
+    rows = [(0, at(0)), *((n, at(d)) for n, d in enumerate(steps, 1))]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") == 0).collect()
+    assert [tuple(r) for r in sorted(got, key=lambda r: r["rank"])] == [(0, n, n, 1.0) for n in range(1, 11)]
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline as p
 
