@@ -16,6 +16,7 @@ HOT_SHARE = 1000
 #: Rows in an Arrow batch handed to Python; bounds the memory of a worker.
 BATCH_ROWS = 1024
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -42,11 +43,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again.
 
-    This cuts the lineage: a lost executor later costs a re-read and no recomputation.
+    This cuts the lineage: a lost executor later costs a re-read and no recomputation. The
+    shuffle files that the write needed go with its end.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
