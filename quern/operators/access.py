@@ -34,7 +34,7 @@ def row_filtered(state: DataFrame, field: str, value: object) -> DataFrame:
     return state.where(row_matches(F.col(field), value))
 
 
-def token_verdicts(tokens: DataFrame, *, now_ms: int, database: str, collection: str, needed: int) -> DataFrame:
+def token_verdicts(tokens: DataFrame, *, now_ms: int, catalog: str, collection: str, needed: int) -> DataFrame:
     """verdict of each token (jti, kid_known, signed, exp, db, coll, scope, single_use, seq), by the first test that fails."""
     from .changes import first_uses
 
@@ -43,7 +43,7 @@ def token_verdicts(tokens: DataFrame, *, now_ms: int, database: str, collection:
         F.when(~F.col("kid_known"), "unknown key")
         .when(~F.col("signed"), "bad signature")
         .when(F.col("exp") < now_ms, "expired")
-        .when(F.col("db") != database, "other database")
+        .when(F.col("db") != catalog, "other catalog")
         .when((F.col("coll") != "*") & (F.col("coll") != collection), "other collection")
         .when(F.col("scope").bitwiseAND(needed) != needed, "out of scope")
         .when(F.col("single_use") & ~F.col("accepted"), "used")

@@ -458,7 +458,7 @@ def acl_fold(spark, sf):
 def token_verify(spark, sf):
     e = table(spark, sf, "events")
     t = e.select(F.col("event_id").alias("jti"), (F.col("event_id") % 11 != 0).alias("kid_known"), (F.col("event_id") % 7 != 0).alias("signed"), F.when(F.col("event_id") % 5 == 0, 1).otherwise(100).cast("long").alias("exp"), F.lit("d").alias("db"), F.when(F.col("event_type") == "view", "x").otherwise("c").alias("coll"), F.when(F.col("event_id") % 4 == 2, 2).otherwise(3).alias("scope"), F.lit(True).alias("single_use"), F.col("event_id").alias("seq"))
-    return access.token_verdicts(t, now_ms=50, database="d", collection="c", needed=1).select("jti", "verdict")
+    return access.token_verdicts(t, now_ms=50, catalog="d", collection="c", needed=1).select("jti", "verdict")
 
 
 # -- scalar functions ------------------------------------------------------------

@@ -202,16 +202,16 @@ class Collection:
         return self.spark.readStream.schema(self.log_type).parquet(self.files.at("data/n=*"))
 
 
-class Database:
+class Catalog:
     """A directory of collections with a manifest of their names and grants."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.files = spark, Files(spark, root)
-        if not self.files.exists("database.json"):
-            self.files.create("database.json", json.dumps({"collections": [], "acl": {}}))
+        if not self.files.exists("catalog.json"):
+            self.files.create("catalog.json", json.dumps({"collections": [], "acl": {}}))
 
     def _meta(self) -> dict:
-        return json.loads(self.files.read("database.json"))
+        return json.loads(self.files.read("catalog.json"))
 
     def collections(self) -> list[str]:
         return sorted(self._meta()["collections"])
@@ -223,7 +223,7 @@ class Database:
         out = Collection.define(self.spark, self.files.at(name), fields, **options)
         meta = self._meta()
         if name not in meta["collections"] and not options.get("dry_run"):
-            self.files.replace("database.json", json.dumps(meta | {"collections": [*meta["collections"], name]}))
+            self.files.replace("catalog.json", json.dumps(meta | {"collections": [*meta["collections"], name]}))
         return out
 
     def apply_registry(self, registry: dict[str, Sequence[Field]], **consent) -> dict[str, migration.Plan]:
@@ -239,14 +239,14 @@ class Database:
     def grant(self, principal: str, mask: int) -> None:
         meta = self._meta()
         meta["acl"][principal] = meta["acl"].get(principal, 0) | mask
-        self.files.replace("database.json", json.dumps(meta))
+        self.files.replace("catalog.json", json.dumps(meta))
 
     def revoke(self, principal: str, mask: int) -> None:
         expand = lambda m: 255 if m & 128 else m
         meta = self._meta()
         left = expand(meta["acl"].get(principal, 0)) & ~expand(mask)
         meta["acl"] = {k: v for k, v in (meta["acl"] | {principal: left}).items() if v}
-        self.files.replace("database.json", json.dumps(meta))
+        self.files.replace("catalog.json", json.dumps(meta))
 
     def can(self, principal: str, needed: int) -> bool:
         mask = self._meta()["acl"].get(principal, 0)

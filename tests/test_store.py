@@ -11,7 +11,7 @@ from quern.operators import changes, query
 from quern.plans import migration
 from quern.schema import Field, SchemaError, checked
 from quern.sources import blobs, codec
-from quern.sources.log import Collection, CommitConflict, Database, MigrationRefused
+from quern.sources.log import Collection, CommitConflict, Catalog, MigrationRefused
 
 USERS = [Field(2, "name", "string", index=True, required=True), Field(3, "email", "string", blind=True), Field(4, "age", "int32")]
 
@@ -103,8 +103,8 @@ def test_migration_table():
     assert migration.describe(migration.plan(USERS, [name, email]).blockers) == "field 4 (age): remove-field"
 
 
-def test_database(spark, tmp_path):
-    db = Database(spark, f"file://{tmp_path}/db")
+def test_catalog(spark, tmp_path):
+    db = Catalog(spark, f"file://{tmp_path}/db")
     db.define("users", USERS).put(rows(spark, [(1, "a", "x", 5)]))
     assert db.collections() == ["users"]
     renamed = [USERS[0], USERS[1], replace(USERS[2], name="years"), Field(6, "seen", "int64")]
