@@ -27,13 +27,41 @@ def versions(log: DataFrame, key: str, order: Sequence[str], name: str = "versio
     return log.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def upsert(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Full records of batch replace or join those of state."""
-    return state.join(batch.select(key), key, "left_anti").unionByName(batch.select(state.columns))
+def _ordered(batch: DataFrame, order: str | None) -> Column:
+    """The order of a batch's rows: a column, or their place in the scan."""
+    return F.col(order) if order else F.monotonically_increasing_id()
 
 
-def patch(state: DataFrame, changes: DataFrame, key: str, *, unset: Sequence[str] = ()) -> DataFrame:
-    """Shallow merge: a non-null field of changes wins; fields in unset become null where the key is patched."""
+def _keyed(key: str) -> Column:
+    """The key; a null one is an error, for it is no record's."""
+    return F.coalesce(F.col(key), F.raise_error(F.lit("a null key"))).alias(key)
+
+
+def last_rows(batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Of rows with the same key the last one."""
+    rest = [c for c in batch.columns if c != key]
+    last = batch.select(_keyed(key), F.struct(*rest).alias("__row"), _ordered(batch, order).alias("__order")).groupBy(key).agg(F.max_by("__row", "__order").alias("__row"))
+    return last.select(*[F.col(key) if c == key else F.col(f"__row.`{c}`").alias(c) for c in batch.columns])
+
+
+def last_fields(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: of every field the last value that is not null. The order's column is not among the result."""
+    rest = [c for c in changes.columns if c not in (key, order)]
+    rows = changes.select(_keyed(key), *rest, _ordered(changes, order).alias("__order"))
+    if not rest:
+        return rows.select(key).distinct()
+    return rows.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__order"))).alias(c) for c in rest])
+
+
+def upsert(state: DataFrame, batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Full records of batch replace or join those of state; of several for a key the last one does. A null key is an error."""
+    new = last_rows(batch, key, order)
+    return state.join(new.select(key), key, "left_anti").unionByName(new.select(state.columns))
+
+
+def patch(state: DataFrame, changes: DataFrame, key: str, *, unset: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """Shallow merge: a non-null field of changes wins, the last of several; fields in unset become null where the key is patched."""
+    changes = last_fields(changes, key, order)
     c = changes.select(key, F.lit(True).alias("__hit"), *[F.col(f).alias(f"__new_{f}") for f in changes.columns if f != key])
     out = state.join(c, key, "left")
     cols = [F.col(key)]
@@ -59,23 +87,32 @@ def insert_unique(state: DataFrame, batch: DataFrame, key: str, fields: Sequence
     missing = F.lit(False)
     for f in fields:
         missing = missing | F.col(f).isNull() | (F.col(f).cast("string") == "")
-    out = batch.withColumn("__missing", missing)
+    out = batch.where(~missing)  # rows without a value take no part in the joins, where they would be one hot key
     taken, repeated = F.lit(False), F.lit(False)
     for f in fields:
-        held = state.select(F.col(f).alias(f"__held_{f}")).where(F.col(f"__held_{f}").isNotNull()).distinct()
-        out = out.join(held, out[f] == held[f"__held_{f}"], "left")
+        held = state.select(F.col(f).alias(f)).where(F.col(f).isNotNull()).distinct().withColumn(f"__held_{f}", F.lit(True))
+        first = batch.where(~missing).groupBy(f).agg(F.min(F.struct(order, key)).alias(f"__first_{f}"))
+        out = out.join(held, f, "left").join(first, f)
         taken = taken | F.col(f"__held_{f}").isNotNull()
-        first = F.min(F.when(~F.col("__missing"), F.struct(order, key))).over(Window.partitionBy(f))
-        out = out.withColumn(f"__first_{f}", first)
         repeated = repeated | (F.struct(order, key) > F.col(f"__first_{f}"))
-    verdict = F.when(F.col("__missing"), "missing").when(taken, "taken").when(repeated, "repeated").otherwise("ok")
-    return out.select(*batch.columns, verdict.alias("verdict"))
+    verdict = F.when(taken, "taken").when(repeated, "repeated").otherwise("ok")
+    out = out.select(*batch.columns, verdict.alias("verdict"))
+    return out.unionByName(batch.where(missing).withColumn("verdict", F.lit("missing")))
+
 
+def compare_and_set(state: DataFrame, asked: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Verdict per request (key, expected): `ok`, `aborted` on another version, `missing`; 0 expects nothing.
 
-def compare_and_set(state: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """Verdict per request (key, expected): `ok`, `aborted` on another version, `missing`; 0 expects nothing."""
+    The versions are those before the batch. Of the requests of a key that would pass, in the order given,
+    the first one changes the version, so later ones pass only where they expect nothing. Without an order a key has one request.
+    """
     out = asked.join(state.select(key, "version"), key, "left")
-    verdict = F.when(F.col("version").isNull(), "missing").when((F.col("expected") == 0) | (F.col("expected") == F.col("version")), "ok").otherwise("aborted")
+    passes = (F.col("expected") == 0) | (F.col("expected") == F.col("version"))
+    first = F.lit(True)
+    if order:
+        lead = out.where(F.col("version").isNotNull() & passes).groupBy(key).agg(F.min(order).alias("__first"))
+        out, first = out.join(lead, key, "left"), (F.col("expected") == 0) | (F.col(order) == F.col("__first"))
+    verdict = F.when(F.col("version").isNull(), "missing").when(passes & first, "ok").otherwise("aborted")
     return out.select(*asked.columns, "version", verdict.alias("verdict"))
 
 
