@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
