@@ -38,12 +38,15 @@ def pads(key: bytes) -> tuple[bytes, bytes]:
     return bytes(k ^ 0x36 for k in key), bytes(k ^ 0x5C for k in key)
 
 
+def hmac_sha256(value: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text or bytes, as hex, from sha2 alone."""
+    inner, outer = pads(key)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), value.cast("binary")), 256))), 256)
+
+
 def blind(value: Column, key: bytes) -> Column:
     """Keyed hash of a value's text, as hex: HMAC-SHA256 cut to BLIND_BYTES, from sha2 alone. Null stays null."""
-    inner, outer = pads(key)
-    data = value if isinstance(value, bytes) else value.cast("string").cast("binary")
-    first = F.unhex(F.sha2(F.concat(F.lit(inner), data), 256))
-    return F.substring(F.sha2(F.concat(F.lit(outer), first), 256), 1, 2 * BLIND_BYTES)
+    return F.substring(hmac_sha256(value.cast("string"), key), 1, 2 * BLIND_BYTES)
 
 
 def blind_literal(value: object, key: bytes) -> str:
@@ -107,14 +110,17 @@ def ancestors(name: Column, zone: Column) -> Column:
 
 
 def ttl_or_default(ttl: Column) -> Column:
-    """Null, zero and what is no number count as DEFAULT_TTL."""
-    return F.coalesce(F.nullif(ttl.try_cast("int"), F.lit(0)), F.lit(DEFAULT_TTL))
+    """A number in any notation, cut to whole seconds; null, zero and what is no number count as DEFAULT_TTL."""
+    n = ttl.try_cast("double")
+    return F.coalesce(F.nullif(n, F.lit(0.0)).try_cast("int"), F.lit(DEFAULT_TTL))
 
 
 def mask_secret(text: Column) -> Column:
-    """First and last four characters and the length; short ones are hidden."""
+    """First and last four characters and the length; of short ones not even that, and nothing of empty and null ones."""
+    text = F.coalesce(text, F.lit(""))
     n = F.char_length(text)
-    return F.when(n <= 8, F.concat(F.lit("*** ("), n, F.lit(" b)"))).otherwise(F.concat(F.left(text, F.lit(4)), F.lit("…"), F.right(text, F.lit(4)), F.lit(" ("), n, F.lit(" b)")))
+    whole = F.concat(F.left(text, F.lit(4)), F.lit("…"), F.right(text, F.lit(4)), F.lit(" ("), n, F.lit("b)"))
+    return F.when(n == 0, F.lit("")).when(n <= 8, F.lit("***")).otherwise(whole)
 
 
 def effective(mask: Column) -> Column:
@@ -142,8 +148,42 @@ def subset(asked: Column, granted: Column) -> Column:
 
 
 def to_bool(v: Column) -> Column:
-    """Lenient: true and 1 are true, anything else false."""
-    return F.coalesce(F.lower(v.cast("string")).isin("true", "1"), F.lit(False))
+    """true and 1 are true, anything else false."""
+    return F.coalesce(v.cast("string").isin("true", "1"), F.lit(False))
+
+
+def varint(v: Column) -> Column:
+    """A number as groups of seven bits, the lowest first, all but the last marked by the high bit; negative ones as unsigned."""
+    n = F.ceil(F.length(F.bin(v)) / 7).cast("int")
+    group = lambda i: F.call_function("shiftrightunsigned", v, (i * 7).cast("int")).bitwiseAND(127)
+    byte = lambda i: F.lpad(F.hex(group(i) + F.when(i < n - 1, 128).otherwise(0)), 2, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte), ""))
+
+
+def unvarint(b: Column) -> Column:
+    """The inverse of varint."""
+    at = F.sequence(F.lit(0), F.length(b) - 1)
+    byte = lambda i: F.conv(F.hex(F.call_function("substring", b, i + 1, F.lit(1))), 16, 10).cast("long")
+    return F.aggregate(at, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", byte(i).bitwiseAND(127), (i * 7).cast("int"))))
+
+
+def id_bytes(i: Column) -> Column:
+    """An id as eight bytes, the highest first, so that bytes sort as ids do."""
+    return F.unhex(F.lpad(F.hex(i), 16, "0"))
+
+
+def bytes_id(b: Column) -> Column:
+    return F.conv(F.hex(b), 16, 10).cast("long")
+
+
+def thumbprint(data: Column) -> Column:
+    """The first 16 hex digits of the SHA-256."""
+    return F.substring(F.sha2(data, 256), 1, 16)
+
+
+def renew_due(now: Column, issued: Column, expires: Column) -> Column:
+    """Whether two thirds of a lifetime are over."""
+    return (now - issued) * 3 >= (expires - issued) * 2
 
 
 def zigzag(v: Column) -> Column:

@@ -34,11 +34,29 @@ def row_filtered(state: DataFrame, field: str, value: object) -> DataFrame:
     return state.where(row_matches(F.col(field), value))
 
 
+def get_scoped(state: DataFrame, key: str, value: object, field: str, granted: object) -> DataFrame:
+    """The record of a key, or nothing where it is out of the row scope: that it is there stays hidden. The same for find_one: find first, then this test."""
+    return row_filtered(state.where(F.col(key) == F.lit(value)), field, granted)
+
+
+def put_scoped(batch: DataFrame, key: str, field: str | None = None, granted: object = None) -> DataFrame:
+    """verdict of each record of a direct put: `no id`, `out of scope` (the new record does not match the row scope) or `ok`."""
+    inside = row_matches(F.col(field), granted) if field else F.lit(True)
+    return batch.withColumn("verdict", F.when(F.col(key).isNull(), "no id").when(~inside, "out of scope").otherwise("ok"))
+
+
+def delete_scoped(state: DataFrame, ids: DataFrame, key: str, field: str, granted: object) -> DataFrame:
+    """The ids whose present record is in the row scope; others are left alone, as if they were not there."""
+    return ids.join(row_filtered(state, field, granted).select(key), key, "left_semi")
+
+
 def token_verdicts(tokens: DataFrame, *, now_ms: int, catalog: str, collection: str, needed: int) -> DataFrame:
     """verdict of each token (jti, kid_known, signed, exp, db, coll, scope, single_use, seq), by the first test that fails."""
     from .changes import first_uses
 
-    t = first_uses(tokens, "jti", "seq")
+    inside = (F.col("db") == catalog) & ((F.col("coll") == "*") | (F.col("coll") == collection))
+    passes = F.col("kid_known") & F.col("signed") & (F.col("exp") >= now_ms) & inside & (F.col("scope").bitwiseAND(needed) == needed)
+    t = first_uses(tokens, "jti", "seq", F.col("single_use") & passes)  # only what passes all else uses a token up
     verdict = (
         F.when(~F.col("kid_known"), "unknown key")
         .when(~F.col("signed"), "bad signature")

@@ -7,10 +7,11 @@ answered leaves the loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ancestors, dns_name, in_zone, is_visible, lookup_key
+from ..functions.scalar import ancestors, dns_name, in_zone, is_visible, lookup_key, ttl_or_default
+from . import state
 
 MAX_CHAIN = 8
 
@@ -31,12 +32,68 @@ def names(records: DataFrame) -> DataFrame:
 
 
 def nodes(records: DataFrame, zone: str) -> DataFrame:
-    """Names and all names between them and the apex."""
-    return names(records).select(F.explode(ancestors(F.col("name"), F.lit(zone))).alias("node")).distinct()
+    """Names and all names between them and the apex, which is there even if the zone is empty."""
+    apex = records.sparkSession.createDataFrame([(zone,)], "node string")
+    return names(records).select(F.explode(ancestors(F.col("name"), F.lit(zone))).alias("node")).union(apex).distinct()
 
 
 def list_zone(records: DataFrame) -> DataFrame:
-    return normalized(records).orderBy("name", "type")
+    """By name and type in the order of the Unicode collation."""
+    return normalized(records).orderBy(F.collate("name", "UNICODE"), F.collate("type", "UNICODE"))
+
+
+def resolve_any(records: DataFrame, name: str, *, disabled: bool = False) -> DataFrame:
+    """All records of a name, whatever their type."""
+    rows = records if disabled else normalized(records)
+    return rows.where(dns_name(F.col("name")) == dns_name(F.lit(name)))
+
+
+def rdata_target(rdata: Column) -> Column:
+    """The target of record data: of an object its member `target`, of a JSON text the text, else the data as they are."""
+    v = F.try_parse_json(rdata)
+    return F.coalesce(F.try_variant_get(v, "$.target", "string"), F.try_variant_get(v, "$", "string"), rdata)
+
+
+def prepared(batch: DataFrame, now_ms: int) -> DataFrame:
+    """Records to be written (zone, name, type, rdata; ttl, comment and disabled may be lacking), normalized, with their lookup key, times and a verdict:
+    `outside` the zone, `no rdata` or `ok`."""
+    have = set(batch.columns)
+    out = batch.withColumn("zone", dns_name(F.col("zone"))).withColumn("name", dns_name(F.col("name"))).withColumn("type", F.upper("type"))
+    out = out.withColumn("ttl", ttl_or_default(F.col("ttl") if "ttl" in have else F.lit(None).cast("string")))
+    out = out.withColumn("comment", F.coalesce(F.col("comment") if "comment" in have else F.lit(None), F.lit("")))
+    out = out.withColumn("disabled", F.coalesce(F.col("disabled") if "disabled" in have else F.lit(None), F.lit(False)))
+    out = out.withColumn("lookup_key", lookup_key(F.col("name"), F.col("type"))).withColumn("created_ms", F.lit(now_ms)).withColumn("updated_ms", F.lit(now_ms))
+    inside = F.coalesce(in_zone(F.col("name"), F.col("zone")), F.lit(False))
+    return out.withColumn("verdict", F.when(~inside, "outside").when(F.coalesce(F.col("rdata"), F.lit("")) == "", "no rdata").otherwise("ok"))
+
+
+def put_rrsets(records: DataFrame, batch: DataFrame, now_ms: int) -> DataFrame:
+    """The records after those of every name and type in batch are replaced by it, disabled ones too. A row that is not `ok` is an error, for half a set is none."""
+    new = prepared(batch, now_ms)
+    key = F.when(F.col("verdict") == "ok", F.col("lookup_key")).otherwise(F.raise_error(F.concat(F.lit("record "), F.col("name"), F.lit(": "), F.col("verdict"))))
+    new = new.withColumn("lookup_key", key).select(records.columns)
+    return delete_rrsets(records, new).unionByName(new)
+
+
+def delete_rrsets(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """The records without those of the names and types asked, disabled ones too."""
+    keys = asked.select(lookup_key(F.col("name"), F.col("type")).alias("lookup_key"))
+    return records.join(keys, "lookup_key", "left_anti").select(records.columns)
+
+
+def update_records(records: DataFrame, patches: DataFrame, key: str, now_ms: int) -> DataFrame:
+    """Records with patches merged by key; a new name or type gives a new lookup key."""
+    out = state.patch(records, patches.withColumn("updated_ms", F.lit(now_ms)), key)
+    out = out.withColumn("name", dns_name(F.col("name"))).withColumn("type", F.upper("type"))
+    return out.withColumn("lookup_key", lookup_key(F.col("name"), F.col("type"))).select(records.columns)
+
+
+def refreshed(cache: DataFrame, records: DataFrame, events: DataFrame) -> DataFrame:
+    """A cache of visible records after a feed (zone of each event's record, null where there is none): zones with an event are read anew, all of them after one without a record."""
+    zones = events.select("zone").distinct()
+    if not zones.where("zone is null").isEmpty():
+        return normalized(records).select(cache.columns)
+    return cache.join(zones, "zone", "left_anti").unionByName(normalized(records).join(zones, "zone", "left_semi").select(cache.columns)).select(cache.columns)
 
 
 def closest_encloser(asked: DataFrame, tree: DataFrame, zone: str) -> DataFrame:
@@ -60,7 +117,7 @@ def resolve(asked: DataFrame, records: DataFrame, zone: str, *, max_chain: int =
     """
     recs = normalized(records).select("name", "type", "lookup_key", "rdata")
     sets, tree = rrsets(recs), nodes(recs, zone)
-    info = recs.groupBy("name").agg(F.collect_set("type").alias("types"), F.min(F.when(F.col("type") == "CNAME", dns_name(F.col("rdata")))).alias("target"))
+    info = recs.groupBy("name").agg(F.collect_set("type").alias("types"), F.min(F.when(F.col("type") == "CNAME", dns_name(rdata_target(F.col("rdata"))))).alias("target"))
     cur = asked.select("qid", dns_name(F.col("name")).alias("name"), F.upper("type").alias("type"), F.array().cast("array<string>").alias("chain"))
     follows = in_zone(F.col("name"), F.lit(zone)) & F.col("target").isNotNull() & (F.col("type") != "CNAME") & ~F.array_contains("types", F.col("type"))
     for _ in range(max_chain):
@@ -74,6 +131,7 @@ def resolve(asked: DataFrame, records: DataFrame, zone: str, *, max_chain: int =
     status = (
         F.when(~in_zone(F.col("name"), F.lit(zone)), "REFERRAL")
         .when(F.col("rdata").isNotNull(), "NOERROR")
+        .when(F.col("follows") & ~in_zone(F.col("target"), F.lit(zone)), "REFERRAL")
         .when(F.col("follows"), "TRUNCATED")
         .when(F.col("types").isNotNull(), "NODATA")
         .when(F.col("wild_rdata").isNotNull(), "NOERROR")
@@ -83,5 +141,5 @@ def resolve(asked: DataFrame, records: DataFrame, zone: str, *, max_chain: int =
     )
     r = r.withColumn("status", status)
     answers = F.when(F.col("status") == "NOERROR", F.coalesce("rdata", "wild_rdata"))
-    chain = F.when(F.col("status") == "TRUNCATED", F.concat("chain", F.array("target"))).otherwise(F.col("chain"))
+    chain = F.when(F.col("follows"), F.concat("chain", F.array("target"))).otherwise(F.col("chain"))
     return r.select("qid", "status", answers.alias("answers"), chain.alias("chain"))

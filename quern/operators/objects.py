@@ -47,3 +47,27 @@ def expiring(pairs: DataFrame, now_ms: int, within_ms: int) -> DataFrame:
     """Latest live version per name that expires within a time: retired and compromised ones are left out."""
     last = pairs.groupBy("name").agg(F.max_by(F.struct("version", "state", "expires_ms"), "version").alias("v"))
     return last.select("name", "v.*").where((F.col("state") == "current") & (F.col("expires_ms") <= now_ms + within_ms))
+
+
+def put(objects: DataFrame, now_ms: int) -> DataFrame:
+    """Catalogue rows of objects to be stored (object_id, owner, name, content; content_type and visibility may be null); public ones get their id as slug."""
+    public = F.coalesce(F.col("visibility"), F.lit("private")) == "public"
+    return objects.select(
+        "object_id", "owner", "name", F.when(public, "public").otherwise("private").alias("visibility"),
+        F.coalesce("content_type", F.lit("application/octet-stream")).alias("content_type"),
+        F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("size"), F.lit(now_ms).alias("created_ms"),
+        F.when(public, F.col("object_id").cast("string")).otherwise("").alias("slug"),
+    )
+
+
+def delete_verdicts(objects: DataFrame, ids: DataFrame, principal: str, admin: bool = False) -> DataFrame:
+    """object_id and verdict of each id: `missing`, `denied` (the principal is neither owner nor admin) or `ok`."""
+    held = objects.select("object_id", "owner")
+    out = ids.select("object_id").distinct().join(held, "object_id", "left")
+    allowed = F.lit(admin) | F.coalesce(F.col("owner") == principal, F.lit(False))
+    return out.select("object_id", F.when(F.col("owner").isNull(), "missing").when(~allowed, "denied").otherwise("ok").alias("verdict"))
+
+
+def with_chunks(objects: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Catalogue rows with the chunks of their content."""
+    return objects.join(chunks, "object_id")

@@ -126,6 +126,11 @@ def posting_list(rows: DataFrame, field: str, key: str) -> DataFrame:
     return postings(rows, field, key).groupBy("value").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
+def posting_sizes(rows: DataFrame, field: str, key: str) -> DataFrame:
+    """How many ids each value has; no list of them is made."""
+    return postings(rows, field, key).groupBy("value").agg(F.count_distinct("id").alias("ids"))
+
+
 def merge_segments(disk: DataFrame, memory: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
     """(disk without tombstones) and what is in memory; a pair in both counts once."""
     return disk.join(gone, list(key), "left_anti").unionByName(memory).distinct()

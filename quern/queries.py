@@ -198,7 +198,7 @@ def posting_list(spark, sf):
 
 @registered("select c_mktsegment as value, count(*) as ids from customer group by 1")
 def posting_sizes(spark, sf):
-    return state.posting_list(table(spark, sf, "customer"), "c_mktsegment", "c_custkey").select("value", F.size("ids").cast("long").alias("ids"))
+    return state.posting_sizes(table(spark, sf, "customer"), "c_mktsegment", "c_custkey")
 
 
 # -- mutations -------------------------------------------------------------------
@@ -259,6 +259,25 @@ def cas_verdict(spark, sf):
     return state.compare_and_set(held, o.withColumn("expected", F.col("id") % 4), "id")
 
 
+@registered("select o_custkey as id, max(o_orderkey) as o_orderkey, max_by(o_totalprice, o_orderkey) as o_totalprice from orders group by 1")
+def upsert_repeated(spark, sf):
+    """A batch with many rows for a key: the last one stays."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_totalprice")
+    return state.upsert(o.limit(0), o, "id", "o_orderkey")
+
+
+@registered("""
+  select o_orderkey, expected, version, case when version is null then 'missing' when expected = 0 or (expected = version and first) then 'ok' else 'aborted' end as verdict
+  from (select *, o_orderkey = min(o_orderkey) filter (where expected = 0 or expected = version) over (partition by id) as first
+        from (select o_custkey as id, o_orderkey, (o_orderkey % 4)::bigint as expected, case when o_custkey % 5 <> 0 then (o_custkey % 3 + 1)::bigint end as version from orders))
+""")
+def cas_repeated(spark, sf):
+    """Several requests for one version: the first one passes."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", (F.col("o_orderkey") % 4).alias("expected"))
+    held = o.where("id % 5 <> 0").select("id", (F.col("id") % 3 + 1).alias("version")).distinct()
+    return state.compare_and_set(held, o, "id", "o_orderkey").drop("id")
+
+
 @registered("select o_orderkey, o_orderstatus from orders where o_orderkey not in (select o_orderkey from orders where o_orderpriority = '5-LOW')")
 def delete_apply(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -306,6 +325,30 @@ def stale_prefix(spark, sf):
     return changes.stale(_lossy(spark, sf), "coll_seq", "event_type").select("event_id", "stale")
 
 
+_ARRIVED_SQL = f"(select *, (event_id // 1000) * 1000 + (event_id * 7) % 1000 as arrival from {_LOSSY_SQL})"
+
+
+def _arrived(spark, sf):
+    """The lossy feed in an order of arrival that is not its own."""
+    return _lossy(spark, sf).withColumn("arrival", F.floor(F.col("event_id") / 1000) * 1000 + F.col("event_id") * 7 % 1000)
+
+
+_GAPS_SQL = f"""
+  select event_id, coll_seq, arrival, event_type, greatest(coalesce(max(coll_seq) over (partition by event_type order by arrival, event_id rows between unbounded preceding and 1 preceding), 0), 0) as seen
+  from {_ARRIVED_SQL}
+"""
+
+
+@registered(f"select event_id, coll_seq > seen + 1 as gap, coll_seq <= seen as duplicate from ({_GAPS_SQL})")
+def gap_arrival(spark, sf):
+    return changes.gaps(_arrived(spark, sf), "coll_seq", "event_type", arrival="arrival", block=1000).select("event_id", "gap", "duplicate")
+
+
+@registered(f"select event_id, bool_or(coll_seq > seen + 1) over (partition by event_type order by arrival, event_id rows between unbounded preceding and current row) as stale from ({_GAPS_SQL})")
+def stale_arrival(spark, sf):
+    return changes.stale(_arrived(spark, sf), "coll_seq", "event_type", arrival="arrival", block=1000).select("event_id", "stale")
+
+
 @registered("select event_id, user_id, event_type from events where event_id > 100 and event_type = 'click'")
 def replay_after(spark, sf):
     return changes.replay(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "event_id", 100, F.col("event_type") == "click")
@@ -472,7 +515,7 @@ def snowflake_decode(spark, sf):
     return table(spark, sf, "orders").select(k.alias("k"), made.alias("i")).select("k", *[c.alias(n) for n, c in parts.items()])
 
 
-@registered("select c_custkey, left(c_name, 4) || '…' || right(c_name, 4) || ' (' || length(c_name) || ' b)' as masked from customer")
+@registered("select c_custkey, left(c_name, 4) || '…' || right(c_name, 4) || ' (' || length(c_name) || 'b)' as masked from customer")
 def mask_text(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", fn.mask_secret(F.col("c_name")).alias("masked"))
 
@@ -483,6 +526,16 @@ def zigzag_round_trip(spark, sf):
     return table(spark, sf, "events").select("user_id", fn.unzigzag(fn.zigzag(v)).alias("v"))
 
 
+@registered("""
+  select o_orderkey, case when o_orderkey < 128 then printf('%02X', o_orderkey) when o_orderkey < 16384 then printf('%02X%02X', (o_orderkey & 127) | 128, o_orderkey >> 7)
+         else printf('%02X%02X%02X', (o_orderkey & 127) | 128, ((o_orderkey >> 7) & 127) | 128, o_orderkey >> 14) end as coded,
+         printf('%016X', o_orderkey) as id, left(sha256(o_orderpriority), 16) as print from orders
+""")
+def wire_values(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", F.hex(fn.varint(k)).alias("coded"), F.hex(fn.id_bytes(k)).alias("id"), fn.thumbprint(F.col("o_orderpriority")).alias("print"))
+
+
 @registered("select o_orderkey, case when o_orderkey % 900 = 0 then 300 else (o_orderkey % 900)::int end as ttl from orders")
 def ttl_default(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", fn.ttl_or_default((F.col("o_orderkey") % 900).cast("string")).alias("ttl"))
@@ -607,6 +660,15 @@ def zone_list(spark, sf):
     return dns.list_zone(_records(spark, sf)).select("name", "type", "rdata")
 
 
+@registered(f"with {_RECORDS_SQL} select name, type, rdata, ttl from (select name, type, rdata, 0 as ttl from rec where not (name in (select name from h1) and type = 'A') union all select name, 'A', '10.1.0.' || i, 300 from h1, (values (1), (2)) t(i))")
+def rrset_replace(spark, sf):
+    """All address records of the hosts give way to two new ones each."""
+    old = dns.prepared(_records(spark, sf).withColumn("zone", F.lit(ZONE)), 1).drop("verdict").withColumn("ttl", F.lit(0))
+    h = _zone_hosts(spark, sf).select("name").distinct()
+    new = h.select(F.lit(ZONE).alias("zone"), F.upper("name").alias("name"), F.lit("a").alias("type"), F.explode(F.array(F.lit("10.1.0.1"), F.lit("10.1.0.2"))).alias("rdata"))
+    return dns.put_rrsets(old, new, 2).select("name", "type", "rdata", "ttl")
+
+
 @registered(f"with {_RECORDS_SQL} select name || '|' || type as lookup_key, count(*) as records from rec group by 1")
 def rrset_sizes(spark, sf):
     return dns.rrsets(dns.normalized(_records(spark, sf))).select("lookup_key", F.size("rdata").cast("long").alias("records"))

@@ -14,10 +14,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split(objects: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """object_id, chunk_no, data of objects (object_id, content)."""
+    """object_id, chunk_no, data of objects (object_id, content); the content is cut before it is exploded, so it is not copied for each chunk."""
     n = F.greatest(F.ceil(F.length("content") / chunk), F.lit(1)).cast("int")
-    out = objects.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    return out.select("object_id", "chunk_no", F.substring("content", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("substring", F.col("content"), i * chunk + 1, F.lit(chunk)))
+    return objects.select("object_id", F.posexplode(parts).alias("chunk_no", "data"))
 
 
 def _place(total):
@@ -26,14 +26,15 @@ def _place(total):
 
 def encrypt(chunks: DataFrame, totals: DataFrame, key: bytes) -> DataFrame:
     """Chunks sealed with their object, number and the object's chunk count: none can be moved, dropped or cut off."""
-    x = chunks.join(totals.select("object_id", "chunks"), "object_id")
-    return x.select("object_id", "chunk_no", "chunks", F.expr("aes_encrypt(data, k, 'GCM', 'DEFAULT', '', aad)").alias("sealed")) if "k" in x.columns else x.withColumn("k", F.lit(key)).withColumn("aad", _place("chunks")).selectExpr("object_id", "chunk_no", "chunks", "aes_encrypt(data, k, 'GCM', 'DEFAULT', cast('' as binary), aad) as sealed")
+    x = chunks.select("object_id", "chunk_no", "data").join(totals.select("object_id", "chunks"), "object_id")
+    x = x.withColumn("__key", F.lit(key)).withColumn("__place", _place("chunks"))
+    return x.selectExpr("object_id", "chunk_no", "chunks", "aes_encrypt(data, __key, 'GCM', 'DEFAULT', cast('' as binary), __place) as sealed")
 
 
 def decrypt(sealed: DataFrame, key: bytes) -> DataFrame:
     """The inverse; a chunk out of its place is an error."""
-    x = sealed.withColumn("k", F.lit(key)).withColumn("aad", _place("chunks"))
-    return x.selectExpr("object_id", "chunk_no", "chunks", "aes_decrypt(sealed, k, 'GCM', 'DEFAULT', aad) as data")
+    x = sealed.withColumn("__key", F.lit(key)).withColumn("__place", _place("chunks"))
+    return x.selectExpr("object_id", "chunk_no", "chunks", "aes_decrypt(sealed, __key, 'GCM', 'DEFAULT', __place) as data")
 
 
 def complete(chunks: DataFrame) -> DataFrame:
