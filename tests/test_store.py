@@ -347,3 +347,39 @@ def test_scoped_access_and_objects(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,)], "object_id long")
     assert {r[0]: r[1] for r in objects.delete_verdicts(meta, ids, "u").collect()} == {1: "ok", 2: "denied", 3: "missing"}
     assert objects.with_chunks(meta, blobs.split(files.withColumn("k", F.lit(1)), 2)).count() == 3
+
+
+def test_followed_view(spark, tmp_path):
+    from quern.streaming.views import DELTAS, FollowedView
+
+    v = FollowedView(spark, f"file://{tmp_path}/v", "id", "seq", F.col("op") == "delete")
+    feed = lambda *events: spark.createDataFrame([(s, i, op, x) for s, i, op, x in events], "seq long, id long, op string, x string")
+    rows = lambda: {r["id"]: r["x"] for r in v.current().collect()}
+    v._merge(feed((1, 1, "put", "a")), 0)
+    assert v.stale  # no snapshot yet
+    v.load(feed((2, 1, "put", "a"), (1, 2, "put", "b")), 2)
+    v._merge(feed((4, 2, "delete", None), (3, 1, "put", "c"), (3, 1, "put", "c")), 1)
+    v._merge(feed((4, 2, "delete", None), (3, 1, "put", "late"), (5, 3, "put", "d")), 2)
+    v._merge(feed((6, 9, "put", "again")), 2)  # the same batch once more
+    assert (rows(), v.last_seq, v.stale) == ({1: "c", 3: "d"}, 5, False)
+    assert v.current().where("id = 1").first()["events"] == 2
+    v._merge(feed((6, 1, "put", "e"), (8, 1, "put", "f")), 3)
+    v._merge(feed((7, 1, "put", "g")), 4)
+    assert (rows(), v.last_seq, v.stale) == ({1: "e", 3: "d"}, 6, True)
+    v.load(feed((8, 1, "put", "f")), 8)
+    for k in range(DELTAS + 2):
+        v._merge(feed((9 + k, 1, "put", str(k))), 5 + k)
+    assert (rows(), v.stale) == ({1: str(DELTAS + 1)}, False) and len(v._at()["parts"]) < DELTAS
+
+
+def test_stream_of_a_collection(spark, tmp_path):
+    from quern.streaming.views import FoldedView
+
+    c = Collection.define(spark, f"file://{tmp_path}/s", USERS)
+    c.put(rows(spark, [(1, "a", None, 1), (2, "b", None, 2)]))
+    view = FoldedView(spark, f"file://{tmp_path}/view", ID, ["commit_seq", "pos"], F.col("op") == "delete")
+    view.start(c.stream()).awaitTermination()
+    c.delete(spark.createDataFrame([(1,)], "_id long"))
+    c.put(rows(spark, [(2, "z", None, 3)]))
+    view.start(c.stream()).awaitTermination()
+    assert [(r[ID], r["f2"], r["events"]) for r in view.current().collect()] == [(2, "z", 2)]
