@@ -15,9 +15,10 @@
    similarity of at least the threshold, or a plain one.
 5. What the pivots and leaders left out: in a bucket that still holds several components
    of links, members of different components that agree in REST_AGREE samples are
-   verified too. They are found block by block, in rounds: each with the most alike of
-   other components first, then, when their links have merged components, with more of
-   those that still differ, and at last with all. No such pair is left unverified.
+   verified too. They are found block by block; those that have such a partner meet again
+   with their shingle sets and are verified within the block, the most alike first. A
+   block gives links that join components, not pairs. No such pair is left unverified,
+   but for those that links of their block have joined.
 6. Components of all links are the classes.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import attach, small_batches, stable, written
+from .common import attach, discard, small_batches, stable, written
 from .components import components
 
 THRESHOLD = 0.8
@@ -44,8 +45,10 @@ MIN_AGREE = 14
 REST_AGREE = 20
 #: Members of a bucket that are compared with as many others in one block, about.
 BLOCK = 2048
-#: Partners of a member in a block, round by round; the last round takes all that still differ in root.
-PARTNERS = (4, 64, None)
+#: Partners of a member in a block, round by round; the last round verifies all that still differ in root within the blocks.
+PARTNERS = (None,)
+#: Candidates of a member that are verified at once within a block.
+AT_ONCE = 64
 #: Pairs in an Arrow batch that a block gives.
 PAIR_ROWS = 1 << 16
 #: A document that agrees in so many samples with a leader is not one itself.
@@ -154,17 +157,19 @@ def _signer(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 w, data, offsets, h, rows, tf = _bags(block)
                 n = block.num_rows
                 first = np.flatnonzero(np.diff(rows, prepend=-1))
-                keys, marks = [None] * n, [None] * n
+                keys, marks, size, mass = [None] * n, [None] * n, np.zeros(n, np.int32), np.zeros(n)
                 if len(first):
-                    s = icws.samples(h, np.log(tf * idf.weight(h)), first)
+                    weight = tf * idf.weight(h)
+                    s = icws.samples(h, np.log(weight), first)
+                    size[rows[first]], mass[rows[first]] = np.diff(np.append(first, len(h))), np.add.reduceat(weight, first)
                     low = s.astype(np.uint8)
                     for i, row in enumerate(rows[first].tolist()):
                         marks[row] = low[i].tobytes()
                     for row, k in zip(rows[first].tolist(), band_keys(s).tolist()):
                         keys[row] = k
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("uid"), block.column("doc_id"), pa.array(sh.classes(w, data, offsets), pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                    names=["uid", "doc_id", "node", "keys", "marks"],
+                    [block.column("uid"), block.column("doc_id"), pa.array(sh.classes(w, data, offsets), pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(size), pa.array(mass)],
+                    names=["uid", "doc_id", "node", "keys", "marks", "size", "mass"],
                 )
 
     return run
@@ -226,22 +231,33 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _block_pairs(rows: list[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's two sides that differ in root and agree, for each row the `most` most alike (None: all).
-
-    A pair of nulls says that agreeing pairs were left out.
-    """
-    t = pa.Table.from_batches(rows)
-    node = np.array(t.column("node").to_pylist(), object)
+def _sides(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Marks, roots (small numbers) and the places of the two sides of a block; one of one side only is compared with itself."""
     marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, SAMPLES)
     root = np.unique(np.frombuffer(b"".join(t.column("root").to_pylist()), _U).reshape(-1, 2), axis=0, return_inverse=True)[1].reshape(-1)
     first = t.column("first").to_numpy(zero_copy_only=False)
     left, right = np.flatnonzero(first), np.flatnonzero(~first)
-    alone = not len(right)  # a block of one side only is compared with itself
-    right = left if alone else right
+    return marks, root, left, right if len(right) else left
+
+
+def _agreements(marks: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many samples the two sides agree; 0 for the same root."""
     got = np.zeros((len(left), len(right)), np.int8)
     for n, i in enumerate(left.tolist()):
         got[n] = np.where(root[right] != root[i], _agree(marks[right], marks[i]), 0)
+    return got
+
+
+def _block_pairs(rows: list[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block's two sides that differ in root and agree, for each row the `most` most alike (None: all).
+
+    A pair of nulls says that agreeing pairs were left out.
+    """
+    t = pa.Table.from_batches(rows)
+    node = np.array(t.column("node").to_pylist(), object)
+    marks, root, left, right = _sides(t)
+    alone = left is right
+    got = _agreements(marks, root, left, right)
     take = found = got >= REST_AGREE
     if most is not None:
         take = np.zeros_like(found)
@@ -260,8 +276,62 @@ def _block_pairs(rows: list[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary())] * 2, names=["a", "b"])
 
 
-def _compare(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs of each block; a block's rows come together."""
+def _block_members(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block that agree with one of the other side and of another root."""
+    t = pa.Table.from_batches(rows)
+    marks, root, left, right = _sides(t)
+    found = _agreements(marks, root, left, right) >= REST_AGREE
+    keep = np.zeros(len(root), bool)
+    keep[left[found.any(1)]] = True
+    keep[right[found.any(0)]] = True
+    yield from t.filter(pa.array(keep)).to_batches()
+
+
+def _block_links(rows: list[pa.RecordBatch], idf: Idf, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links of a block's two sides: every pair that agrees and differs in root is verified, unless links found before join the two."""
+    t = pa.Table.from_batches(rows)
+    marks, root, left, right = _sides(t)
+    alone = left is right
+    root = root.copy()
+    key = t.column("key")[0].as_py()
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    bags = [_open(x.as_buffer()) for c in t.column("bag").chunks for x in c]
+    h, tf = (np.concatenate(z) for z in zip(*bags))
+    size = np.array([len(x) for x, _ in bags])
+    begin = np.cumsum(size) - size
+    idf_of = idf.weight(h)
+    mass = np.add.reduceat(tf * idf_of, begin)
+    found: list[tuple[int, int]] = []
+    for n, i in enumerate(left.tolist()):
+        other = right[n + 1 :] if alone else right
+        other = other[root[other] != root[i]]
+        like = _agree(marks[other], marks[i])
+        other, like = other[like >= REST_AGREE], like[like >= REST_AGREE]
+        # a pair that shares several buckets is verified in that of its first band
+        same = keys[other] == keys[i]
+        here = keys[i][same.argmax(1)] == key
+        other = other[here][np.argsort(-like[here], kind="stable")]
+        mine, mine_tf = bags[i]
+        while len(other):
+            now, other = other[:AT_ONCE], other[AT_ONCE:]
+            ends = np.cumsum(size[now])
+            at = np.repeat(begin[now] - (ends - size[now]), size[now]) + np.arange(ends[-1])
+            place = np.minimum(np.searchsorted(mine, h[at]), len(mine) - 1)
+            hit = mine[place] == h[at]
+            common = np.add.reduceat(hit.astype(np.int64), ends - size[now])
+            both = np.add.reduceat(np.where(hit, np.minimum(tf[at], mine_tf[place]) * idf_of[at], 0.0), ends - size[now])
+            alike = np.maximum(common / (size[now] + size[i] - common), both / (mass[now] + mass[i] - both)) >= threshold
+            for j in now[alike].tolist():
+                if root[j] != root[i]:
+                    found.append((i, j))
+                    root[root == root[j]] = root[i]
+            other = other[root[other] != root[i]]
+    node = t.column("node").combine_chunks()
+    yield pa.RecordBatch.from_arrays([node.take(pa.array([p[k] for p in found], pa.int64())) for k in range(2)], names=["a", "b"])
+
+
+def _compare(block: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What block gives for each block; a block's rows come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -273,22 +343,27 @@ def _compare(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for lo, hi in zip(cuts, cuts[1:]):
                 now = tuple(cell[:, lo].tolist())
                 if now != at and held:
-                    yield from _block_pairs(held, most)
+                    yield from block(held)
                     held = []
                 at = now
                 held.append(b.slice(lo, hi - lo))
         if held:
-            yield from _block_pairs(held, most)
+            yield from block(held)
 
     return run
 
 
-def rest_pairs(nodes: DataFrame, roots: DataFrame, done: DataFrame, most: int | None = None) -> DataFrame:
-    """Distinct pairs a < b of nodes that share a bucket, differ in root and may be near-duplicates, without those in done.
+_MEMBER = "key long, node binary, marks binary, root binary, x int, y int, first boolean"
 
-    With `most`, a node is paired with so many of the most alike nodes of each block that it
-    is in, and a row of nulls says that there are more. In a bucket the members of its
-    largest component are not compared with each other; the others are, and with those.
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def rest_blocks(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets with several roots, once for each block (key, x, y) that they are compared in.
+
+    In a bucket the members of its largest component are not compared with each other; the others are, and with those.
     Both are cut into blocks by hash, so that a bucket of any size is shared among tasks.
     """
     rooted = nodes.join(roots, "node", "left").select("node", "marks", "keys", F.coalesce("root", "node").alias("root"))
@@ -310,44 +385,83 @@ def rest_pairs(nodes: DataFrame, roots: DataFrame, done: DataFrame, most: int |
     with_main = each(F.col("n_main"), lambda i: cell(mine, i, F.lit(True)))
     with_rest = each(F.col("n_rest"), lambda i: cell(F.least(i, mine), F.col("n_main") + F.greatest(i, mine), mine <= i))
     met = met.select("key", "node", "marks", "root", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_rest))).alias("cell"))
-    dealt = met.select("key", "node", "marks", "root", "cell.*").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    pairs = dealt.mapInArrow(_compare(most), "a binary, b binary")
+    return _dealt(met.select("key", "node", "marks", "root", "cell.*"))
+
+
+def rest_pairs(nodes: DataFrame, roots: DataFrame, done: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct pairs a < b of nodes that share a bucket, differ in root and may be near-duplicates, without those in done.
+
+    With `most`, a node is paired with so many of the most alike nodes of each block that it
+    is in, and a row of nulls says that there are more.
+    """
+    pairs = rest_blocks(nodes, roots).mapInArrow(_compare(lambda rows: _block_pairs(rows, most)), "a binary, b binary")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+def rest_links(texts: DataFrame, nodes: DataFrame, roots: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """Links a, b (written) that join all near-duplicates that share a bucket, agree in REST_AGREE samples and differ in root.
+
+    What grows with the square of a group's size is the comparison within blocks alone: a block gives fewer links than it has members.
+    """
+    shipped = texts.sparkSession.sparkContext.broadcast(idf)
+    met = written(rest_blocks(nodes, roots).mapInArrow(_compare(_block_members), _MEMBER), "rest-members")
+    bags = bags_of(texts, nodes.join(met.select("node").distinct(), "node", "left_semi"))
+    whole = met.join(bags, "node").join(nodes.select("node", "keys"), "node")
+    links = written(_dealt(whole).mapInArrow(_compare(lambda rows: _block_links(rows, shipped.value, threshold)), "a binary, b binary"), "links")
+    discard(met)
+    discard(bags)
+    return links
+
+
+def _slot(uid: np.ndarray) -> np.ndarray:
+    return (sh.mix(uid.view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        s = np.unique(_slot(b.column("uid").to_numpy())) if b.num_rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((s >> 5).astype(np.int32)), pa.array(np.left_shift(np.int64(1), s & 31))], names=["word", "bit"])
+
+
 def _filter_words(nodes: DataFrame) -> np.ndarray:
     """A Bloom filter of one hash: 1 << FILTER_BITS bits, whatever the input."""
-    slot = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << FILTER_BITS) - 1)
-    bit = nodes.select(slot.alias("slot")).selectExpr("cast(shiftright(slot, 5) as int) as word", "shiftleft(1L, cast(slot & 31 as int)) as bit")
-    got = bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    got = nodes.select("uid").mapInArrow(_marks, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     words[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
     return words
 
 
 def _sets(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Only the texts that pass the filter are cut into shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shipped.value
         for b in batches:
+            slot = _slot(b.column("uid").to_numpy()) if b.num_rows else np.zeros(0, np.int64)
+            b = b.filter(pa.array(((words[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool)))
             for block in sh.blocks(b):
-                w, data, offsets, h, rows, tf = _bags(block)
-                node = sh.classes(w, data, offsets)
-                at = np.array([int.from_bytes(x[:4], "big") for x in node], np.int64) & ((1 << FILTER_BITS) - 1)
-                hit = np.flatnonzero((words[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
-                lo, hi = np.searchsorted(rows, hit), np.searchsorted(rows, hit, "right")
-                seen: dict[bytes, bytes] = {}
-                for i, s, e in zip(hit.tolist(), lo.tolist(), hi.tolist()):
-                    if node[i] not in seen:
-                        seen[node[i]] = h[s:e].tobytes() + tf[s:e].astype(np.uint32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["node", "bag"])
+                *_, h, rows, tf = _bags(block)
+                ids = np.arange(block.num_rows)
+                cuts = zip(np.searchsorted(rows, ids).tolist(), np.searchsorted(rows, ids, "right").tolist())
+                yield pa.RecordBatch.from_arrays([block.column("uid"), pa.array([_closed(h[s:e], tf[s:e]) for s, e in cuts], pa.binary())], names=["uid", "bag"])
 
     return run
 
 
+def _closed(h: np.ndarray, tf: np.ndarray) -> bytes:
+    """Hashes, then places and counts of those that come more than once, and their number."""
+    often = np.flatnonzero(tf > 1)
+    return h.tobytes() + np.concatenate([often, tf[often], [len(often)]]).astype(np.uint32).tobytes()
+
+
 def _open(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(bag) // 12
-    return np.frombuffer(bag, _U, n), np.frombuffer(bag, np.uint32, n, 8 * n)
+    end = len(bag) - 4
+    often = int(np.frombuffer(bag, np.uint32, 1, end)[0])
+    n = end // 8 - often
+    counts = np.ones(n, np.uint32)
+    counts[np.frombuffer(bag, np.uint32, often, 8 * n)] = np.frombuffer(bag, np.uint32, often, 8 * n + 4 * often)
+    return np.frombuffer(bag, _U, n), counts
 
 
 def similarities(x: bytes, y: bytes, idf: Idf) -> tuple[float, float]:
@@ -371,15 +485,30 @@ def _verifier(shipped, threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def verified_links(texts: DataFrame, pairs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
-    """Pairs a, b (written) whose weighted or plain similarity reaches the threshold, with both."""
-    sc = texts.sparkSession.sparkContext
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keep = sc.broadcast(_filter_words(ends))
-    bags = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets(keep), "node binary, bag binary")
-    bags = written(bags.groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+def bags_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and bag of the nodes (node, uid of a text of it); written."""
+    keep = texts.sparkSession.sparkContext.broadcast(_filter_words(nodes))
+    bags = texts.select("uid", F.col("text").cast("binary").alias("text")).mapInArrow(_sets(keep), "uid long, bag binary")
+    return written(bags.join(nodes.select("node", "uid"), "uid").select("node", "bag"), "bags")
+
+
+def verified_links(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """Pairs a, b whose weighted or plain similarity reaches the threshold; written."""
+    shipped = texts.sparkSession.sparkContext.broadcast(idf)
+    bags = bags_of(texts, nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
     both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verifier(sc.broadcast(idf), threshold), "a binary, b binary, weighted double, plain double")
+    links = both.select("a", "b", "x", "y").mapInArrow(_verifier(shipped, threshold), "a binary, b binary, weighted double, plain double")
+    links = written(links.select("a", "b"), "links")
+    discard(bags)
+    return links
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs without those whose sizes alone keep both similarities below the threshold."""
+    end = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "mass").alias(f"of_{c}"))
+    pairs = pairs.join(end("a"), "a").join(end("b"), "b")
+    near = lambda n: F.least(f"of_a.{n}", f"of_b.{n}") >= (threshold - 1e-9) * F.greatest(f"of_a.{n}", f"of_b.{n}")
+    return pairs.where(near("size") | near("mass")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -396,21 +525,22 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     idf = document_frequencies(docs)
     texts = docs.withColumn("text", F.col("text").cast("binary"))
     shipped = docs.sparkSession.sparkContext.broadcast(idf)
-    signed = written(texts.mapInArrow(_signer(shipped), "uid long, doc_id long, node binary, keys array<long>, marks binary"), "signed")
-    sets = signed.where("keys is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+    signed = written(texts.mapInArrow(_signer(shipped), "uid long, doc_id long, node binary, keys array<long>, marks binary, size int, mass double"), "signed")
+    sets = signed.where("keys is not null").groupBy("node").agg(F.min("uid").alias("uid"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("size").alias("size"), F.first("mass").alias("mass"))
     sets = written(sets, "signatures")
-    pairs = written(candidate_pairs(sets), "pairs")
-    links = written(verified_links(texts, pairs, idf, threshold).select("a", "b"), "links")
+    pairs = written(possible(candidate_pairs(sets), sets, threshold), "pairs")
+    links = verified_links(texts, sets, pairs, idf, threshold)
     roots = components(links)
     for most in PARTNERS:
-        rest = written(rest_pairs(sets, roots, pairs, most), "pairs")
-        new = rest.where("a is not null")
+        if most is None:
+            new = rest_links(texts, sets, roots, idf, threshold)
+        else:
+            more = written(possible(rest_pairs(sets, roots, pairs, most).where("a is not null"), sets, threshold), "pairs")
+            new = verified_links(texts, sets, more, idf, threshold)
+            pairs = pairs.unionByName(more)
         if not new.isEmpty():
-            links = written(links.unionByName(verified_links(texts, new, idf, threshold).select("a", "b")), "links")
+            links = links.unionByName(new)
             roots = components(links)
-            pairs = pairs.unionByName(new)
-        if rest.where("a is null").isEmpty():
-            break
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("best")
     nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), best)
     nodes = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")

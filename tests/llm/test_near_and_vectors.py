@@ -120,6 +120,54 @@ def test_refused_pairs_take_no_place(spark):
     assert near_dedup.PARTNERS[-1] is None
 
 
+def test_rest_is_verified_within_blocks(spark, monkeypatch):
+    """Links of the rest join all that brute force joins, in blocks of any size; unlike texts of one bucket give no pair rows."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(6))
+    base = [word() for _ in range(120)]
+    texts = []
+    for k in range(60):  # groups of three near copies, each group some 0.7 like the others
+        w = list(base)
+        for i in rng.sample(range(120), 4):
+            w[i] = word()
+        texts += [" ".join(w + w[:3] * 2), " ".join([word()] + w + w[:3] * 2), " ".join(w + w[:3] * 2 + [word()])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf = near_dedup.document_frequencies(docs)
+    shipped = spark.sparkContext.broadcast(idf)
+    rows = docs.select(F.col("doc_id").alias("uid"), "doc_id", F.col("text").cast("binary").alias("text"))
+    signed = rows.mapInArrow(near_dedup._signer(shipped), "uid long, doc_id long, node binary, keys array<long>, marks binary, size int, mass double")
+    signed = near_dedup.written(signed, "signed")
+    node = {bytes(r.node): r.doc_id for r in signed.collect()}
+    bags = {node[bytes(r.node)]: bytes(r.bag) for r in near_dedup.bags_of(rows, signed).collect()}
+    signs = {r.doc_id: (list(r["keys"]), bytes(r.marks)) for r in signed.collect()}
+    agree = lambda x, y: sum(p == q for p, q in zip(x, y))
+    alike, unlike = set(), 0
+    for i, (k, m) in signs.items():
+        for j in range(i):
+            if set(k) & set(signs[j][0]) and agree(m, signs[j][1]) >= near_dedup.REST_AGREE:
+                ok = max(near_dedup.similarities(bags[i], bags[j], idf)) >= 0.8
+                alike |= {(j, i)} if ok else set()
+                unlike += not ok
+    assert unlike > 500 and len(alike) > 100
+    part = lambda links: {frozenset(c) for c in _joined(links).values()}
+    none = spark.createDataFrame([], "node binary, root binary")
+    for block in (7, 2048):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = [tuple(sorted((node[bytes(r.a)], node[bytes(r.b)]))) for r in near_dedup.rest_links(rows, signed, none, idf, 0.8).collect()]
+        assert set(got) <= alike and part(got) == part(alike)
+
+
+def _joined(links):
+    of = {x: x for p in links for x in p}
+    for a, b in links:
+        a, b = of[a], of[b]
+        of = {x: a if r == b else r for x, r in of.items()}
+    out = defaultdict(set)
+    for x, r in of.items():
+        out[r].add(x)
+    return out
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(2)
     icws = near_dedup.Icws(samples=3000)
